@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import bpe, decontaminate, line_dedup, quality_rules, simhash
-from seqloom.llm.common import durable, table
+from seqloom.llm.common import durable, fenced_filter, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -15,7 +15,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the policy rejects go."""
     book = quality_rules.apply_policy(quality_rules.ledger(docs.select(*COLUMNS)))
-    return book.filter("kept").select(*COLUMNS)
+    return fenced_filter(book, F.col("kept")).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,6 +54,16 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fenced_filter(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on computed columns without computing them twice.
+
+    The optimizer would move the condition below the projections that make its columns and repeat their
+    expressions there; it leaves a condition alone that reads a value which differs from run to run.
+    """
+    fence = "_fence"
+    return df.withColumn(fence, F.monotonically_increasing_id()).filter(condition & (F.col(fence) >= 0)).drop(fence)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)

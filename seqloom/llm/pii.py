@@ -20,7 +20,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import ascii_lower, durable
+from seqloom.llm.common import ascii_lower, durable, fenced_filter
 
 #: Patterns take whole runs at once and start only where a run starts or the last match ended, so long runs stay linear.
 PATTERNS = {
@@ -168,7 +168,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", **limits) -> DataFra
     found = find_direct(docs, text)
     width = limits.get("width", 4)
     some = F.size("spans") > 0
-    holders = durable(found.filter(some).select(text, "spans"), "holders")
+    holders = durable(fenced_filter(found, some).select(text, "spans"), "holders")
     pairs = disclosing_terms(docs, holders, text=text, **limits)
     words = durable(
         contexts(holders, width, text).join(pairs, ["e", "t"])
@@ -179,8 +179,8 @@ def find_personal_data(docs: DataFrame, text: str = "text", **limits) -> DataFra
         keyed = found.withColumn("key", F.when(some, F.md5(text)))
         out = keyed.join(F.broadcast(words), "key", "left")
     else:
-        plain = found.filter(~some).withColumn("_terms", F.lit(None).cast(words.schema["_terms"].dataType))
-        out = found.filter(some).withColumn("key", F.md5(text)).join(words, "key", "left").drop("key").unionByName(plain)
+        plain = fenced_filter(found, ~some).withColumn("_terms", F.lit(None).cast(words.schema["_terms"].dataType))
+        out = fenced_filter(found, some).withColumn("key", F.md5(text)).join(words, "key", "left").drop("key").unionByName(plain)
     t = F.coalesce(F.col(text), F.lit(""))
     pattern = F.concat(
         F.lit(r"(?i)(?<!\p{L})(?:"), F.array_join(F.array_distinct(F.transform("_terms", lambda x: x["t"])), "|"), F.lit(r")(?!\p{L})")
