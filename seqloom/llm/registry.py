@@ -99,12 +99,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op6_line_dedup": r"""
-with lines as (
-    select row, doc_id, at, line, translate(trim(line, e' \t\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
-    from (select row_number() over () as row, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents) d,
-    lateral (select unnest(d.ls) as line, unnest(range(len(d.ls))) as at)
-), common as (select key from lines where length(key) >= 1 group by key having count(distinct row) >= 10)
-select any_value(doc_id) as doc_id, count(*)::bigint as n_lines, count(*) filter (c.key is not null)::bigint as n_dropped,
-    sha256(coalesce(string_agg(line, chr(10) order by at) filter (c.key is null), '')) as kept_sha256
-from lines left join common c on lines.key = c.key group by row""",
+with docs as (select row_number() over () as rid, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+lines as (select rid, doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos from docs),
+keyed as (
+    select *, translate(trim(line, e' \t\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from lines
+), common as (select k from keyed where length(k) >= 1 group by k having count(distinct rid) >= 10)
+select any_value(doc_id) as doc_id, count(*)::bigint as n_lines, count(*) filter (c.k is not null)::bigint as n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) order by pos) filter (c.k is null), '')) as kept_sha256
+from keyed left join common c on keyed.k = c.k group by rid""",
+    "op4_quality_rules": r"""
+with docs as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+w as (select *, list_filter(regexp_split_to_array(t, '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '') as ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0b\x0c\r]')) as ls from docs),
+wins as (select rid, i, array_to_string(list_slice(ws, i, i + 7), ' ') as x from (select rid, ws, unnest(range(1, len(ws) - 6)) as i from w where len(ws) >= 8)),
+twice as (select rid, i from (select *, count(*) over (partition by rid, x) as c from wins) where c > 1),
+steps as (select rid, least(8, coalesce(lead(i) over (partition by rid order by i) - i, 8)) as s from twice),
+reps as (select rid, sum(s)::bigint as n from steps group by rid),
+m as (select doc_id, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
+    coalesce(reps.n, 0)::bigint as n_repeat_words, len(ls) as n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) as n_upper,
+    length(t) - length(regexp_replace(t, '[!?]', '', 'g')) as n_marks from w left join reps on w.rid = reps.rid),
+f as (select *, (case when n_words < 20 then 1 else 0 end + case when 100 * n_repeat_words > 30 * n_words then 2 else 0 end
+    + case when 100 * n_symbols > 25 * n_words then 4 else 0 end + case when 100 * n_upper > 30 * word_chars then 8 else 0 end
+    + case when 100 * n_marks > 25 * n_words then 16 else 0 end + case when 100 * n_dup_lines > 60 * n_lines then 32 else 0 end
+    + case when word_chars < 2 * n_words or word_chars > 15 * n_words then 64 else 0 end)::bigint as failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 as base_failed, failed = 0 as kept, failed from f""",
 }
