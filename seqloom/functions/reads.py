@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +48,19 @@ def rpm(count: Column, total: Column) -> Column:
 
 
 def two_decimals(value: Column) -> Column:
-    """Two decimals, halves of the exact binary value to even: through a decimal wide enough to hold it exactly."""
-    exact = value.cast("decimal(38,20)")
-    return F.bround(exact, 2).cast("decimal(38,2)").cast("string")
+    """Two decimals, rounded by the exact binary value, true halves to even.
+
+    A cast to decimal reads the shortest decimal of a double, which can be a half where the double is not. Less its whole
+    part, which subtracts exactly, a double over 1 shows what it is; the doubles below 1 that look like halves are listed by rule.
+    """
+    ties = [Decimal(k).scaleb(-3) for k in range(5, 1000, 10)]
+    low = [float(t) for t in ties if Decimal(float(t)) < t]
+    high = [float(t) for t in ties if Decimal(float(t)) > t]
+    whole = F.floor(value)
+    part = value - whole
+    part = F.when(part.isin(*low), part - 1e-9).when(part.isin(*high), part + 1e-9).otherwise(part)
+    rounded = F.bround(part.cast("decimal(38,20)"), 2).cast("decimal(4,2)")
+    return (whole.cast("decimal(34,2)") + rounded).cast("decimal(38,2)").cast("string")
 
 
 def fenced_filter(df: DataFrame, condition: Column) -> DataFrame:

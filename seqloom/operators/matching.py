@@ -82,10 +82,12 @@ def _failure(kind: str, arg: Column) -> Column:
 def near_miss(df: DataFrame, construct: Construct, depth: int = 3, sequence: str = "sequence") -> DataFrame:
     """Add _b0..: the near-miss bucket of the one constant that was not found; no column work at depth 0."""
     for k, c in enumerate(construct.consts):
-        bucket = F.lit(None).cast("int")
-        if depth:
-            bucket = F.when(F.col(_anchor(k)) == 0, near_miss_bucket(min_hamming(F.upper(F.col(sequence)), c), depth))
-        df = df.withColumn(f"_b{k}", bucket)
+        if not depth:
+            df = df.withColumn(f"_b{k}", F.lit(None).cast("int"))
+            continue
+        # The distance is a projection of its own: its bucket reads it three times.
+        df = df.withColumn(f"_d{k}", F.when(F.col(_anchor(k)) == 0, min_hamming(F.upper(F.col(sequence)), c)))
+        df = df.withColumn(f"_b{k}", near_miss_bucket(F.col(f"_d{k}"), depth)).drop(f"_d{k}")
     return df
 
 
