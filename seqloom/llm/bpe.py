@@ -72,6 +72,7 @@ class Vocabulary:
         split = data["pre_tokenizer"]["pretokenizers"][0]
         self.words = regex.compile(split["pattern"]["Regex"], regex.V1)
         self.letters = byte_letters()
+        self.longest = max(map(len, self.ids))
 
     @cached_property
     def lookahead(self) -> int:
@@ -90,7 +91,7 @@ class Vocabulary:
             while spine:
                 reach[spine] = max(reach.get(spine, 0), chain)
                 spine = left.get(spine, "")
-        return longest + max(map(len, self.ids))
+        return longest + self.longest
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Apply the merges to a list of symbols, lowest rank first, leftmost first: short lists by scanning, long ones by a queue."""
@@ -137,7 +138,8 @@ class WordEncoder:
     """Transducer for one word: push letters, get ids that are final; finish for the rest."""
 
     def __init__(self, vocabulary: Vocabulary, piece: int = PIECE) -> None:
-        self.v, self.piece = vocabulary, piece
+        # A piece shorter than a token might never let one go.
+        self.v, self.piece = vocabulary, max(piece, vocabulary.longest)
         self.held: list[str] = []
 
     def push(self, letters: Iterable[str]) -> Iterator[int]:
