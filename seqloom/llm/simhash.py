@@ -8,7 +8,8 @@ prefix with too many fingerprints is split by the blocks of its remaining bits,
 bits a subtree has at most 2**14 leaves, so no task holds an unbounded group. Each subtree
 gives the edges of a spanning forest of its links, not all pairs.
 
-Components come from repeated minimum labels with pointer jumping; each round is a table in the shared folder.
+Components come from repeated minimum labels with pointer jumping; each round is one table in the shared folder.
+A jump follows the labels of the round before, so a round reads that one table and writes one.
 
 Defined results: a null, empty or wordless text has fingerprint zero, which links like any other. Repeated
 rows and repeated doc_ids are members like others; a null doc_id is never a component_id unless its
@@ -188,17 +189,18 @@ def links(fps: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Columns node, label: the smallest node reachable. Only nodes of some edge appear."""
-    both = durable(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "near"), "edges")
+    """Columns node, label: the smallest node reachable. Only nodes of some edge appear.
+
+    Every round reads the edges, so they should be a table.
+    """
+    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "near")
     labels = durable(both.groupBy("node").agg(F.least("node", F.min("near")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("near"), "label"), "near").groupBy("node").agg(F.min("label").alias("low"))
         lower = labels.join(near, "node").select("node", "label", F.least("label", "low").alias("low"))
-        lower = durable(lower, "lower")
-        jump = lower.select(F.col("node").alias("low"), F.col("low").alias("far"))
-        moved = durable(
-            lower.join(jump, "low").select("node", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("moved")), "labels"
-        )
+        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
+        moved = lower.join(jump, "low").select("node", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("moved"))
+        moved = durable(moved, "labels")
         labels = moved.select("node", "label")
         if moved.filter("moved").isEmpty():
             return labels
@@ -211,7 +213,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     labels = components(durable(links(distinct.select("fp"), max_group), "links"))
     known = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
     roots = known.groupBy("label").agg(F.min("low").alias("component_id"))
-    found = durable(known.join(roots, "label").select("fp", "component_id"), "components")
+    found = known.join(roots, "label").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(found, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
