@@ -134,8 +134,8 @@ def disclosing_terms(
 ) -> DataFrame:
     """Pairs of entity and term over the threshold: e, t, ratio, remove. holders: the documents with spans.
 
-    All counts are sums of partial sums. The terms of all documents are reduced to those of some pair before
-    they are counted; the terms of the pairs are broadcast while they are at most BROADCAST_ROWS, else joined.
+    All counts are sums of partial sums. The terms of all documents are counted before they meet the pairs, so the
+    join has a row for each pair and not for each document that holds a term.
     """
     near = contexts(holders, width, text)
     pairs = (
@@ -146,11 +146,8 @@ def disclosing_terms(
     pairs = durable(pairs, "pairs")
     entities = F.array_distinct(F.transform("spans", _entity))
     n_e = holders.select(F.explode(entities).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    wanted = pairs.select("t").distinct()
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
     words = docs.select(F.explode(F.array_distinct(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), r"\P{L}+"))).alias("t"))
-    n_t = words.join(wanted, "t", "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
+    n_t = words.groupBy("t").agg(F.count("*").alias("n_t"))
     many = F.lit(float(max(docs.count(), 1)))
     scored = pairs.join(n_e, "e").join(n_t, "t").withColumn("n_te", F.least("n_te", "n_e", "n_t"))
     information = F.log(many / F.col("n_e"))
