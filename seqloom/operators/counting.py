@@ -16,8 +16,8 @@ def with_rpm(counts: DataFrame, *by: str) -> DataFrame:
     """Reads per million of all reads (of each group)."""
     if by:
         return counts.join(counts.groupBy(*by).agg(F.sum("count").alias("_total")), list(by)).withColumn("rpm", rpm(F.col("count"), F.col("_total"))).drop("_total")
-    total = counts.agg(F.sum("count").alias("n")).first()["n"] or 0
-    return counts.withColumn("rpm", rpm(F.col("count"), F.lit(total)))
+    # A subquery shares the shuffle of the counts, so the reads are scanned once.
+    return counts.withColumn("rpm", rpm(F.col("count"), counts.agg(F.sum("count")).scalar()))
 
 
 def with_rank(counts: DataFrame, *by: str) -> DataFrame:

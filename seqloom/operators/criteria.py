@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.functions.reads import mean_quality, percent
+from seqloom.functions.reads import fenced_filter, mean_quality, percent
 
 
 @dataclass(frozen=True)
@@ -63,15 +63,14 @@ def judge(reads: DataFrame, c: Criteria, sequence: str = "sequence", quality: st
 
 
 def length_distribution(judged: DataFrame, column: str = "total_length") -> DataFrame:
-    return judged.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("length")).agg(F.count("*").alias("n"))
+    return fenced_filter(judged, F.col(column).isNotNull()).groupBy(F.col(column).alias("length")).agg(F.count("*").alias("n"))
 
 
 def structure_pairs(judged: DataFrame) -> DataFrame:
     """Pairs of lengths of reads with the constant; percentage of those reads."""
-    some = judged.filter(F.col("upstream_length").isNotNull())
+    some = fenced_filter(judged, F.col("upstream_length").isNotNull())
     pairs = some.groupBy("upstream_length", "downstream_length").agg(F.count("*").alias("n"))
-    total = pairs.agg(F.sum("n").alias("n")).first()["n"] or 0
-    return pairs.withColumn("percentage", percent(F.col("n"), F.lit(total)))
+    return pairs.withColumn("percentage", percent(F.col("n"), pairs.agg(F.sum("n")).scalar()))
 
 
 def failure_reasons(judged: DataFrame) -> DataFrame:

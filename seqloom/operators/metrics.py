@@ -68,7 +68,8 @@ def per_rand(df: DataFrame, construct: Construct, weight: str | None = None) ->
 
 
 def rand_length_dist(df: DataFrame, weight: str | None = None) -> DataFrame:
-    out = df.select(F.posexplode("rand_regions").alias("rand_idx", "r"), _weight(weight).alias("w"))
+    # An inner explode would have the optimizer match all reads once more, in a filter on the regions' number.
+    out = df.select(F.posexplode_outer("rand_regions").alias("rand_idx", "r"), _weight(weight).alias("w")).filter(F.col("rand_idx").isNotNull())
     return out.groupBy("rand_idx", F.col("r.length").alias("length")).agg(F.sum("w").cast("long").alias("n"))
 
 
