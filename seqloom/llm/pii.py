@@ -107,6 +107,18 @@ def _terms(t: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(t), F.lit(r"\p{L}{3,}"), 0)
 
 
+def _words(text: str) -> Column:
+    """The distinct letter runs of a text, A-Z lower-cased."""
+    return F.array_distinct(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), r"\P{L}+"))
+
+
+def _small(df: DataFrame, terms: Column) -> DataFrame:
+    """The frame, to be broadcast if its arrays of terms have few elements and letters in all."""
+    sizes = F.coalesce(F.sum(F.size(terms)), F.lit(0)), F.coalesce(F.sum(F.aggregate(terms, F.lit(0), lambda n, t: n + F.length(t))), F.lit(0))
+    n, letters = df.agg(*[s.alias(f"n{i}") for i, s in enumerate(sizes)]).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and letters <= 64 * BROADCAST_ROWS else df
+
+
 def contexts(found: DataFrame, width: int, text: str) -> DataFrame:
     """One row for each entity, term and context of a document: key (of the text), e, t, c."""
     reach = 24 * width
@@ -146,8 +158,7 @@ def disclosing_terms(
     pairs = durable(pairs, "pairs")
     entities = F.array_distinct(F.transform("spans", _entity))
     n_e = holders.select(F.explode(entities).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    words = docs.select(F.explode(F.array_distinct(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), r"\P{L}+"))).alias("t"))
-    n_t = words.groupBy("t").agg(F.count("*").alias("n_t"))
+    n_t = docs.select(F.explode(_words(text)).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
     many = F.lit(float(max(docs.count(), 1)))
     scored = pairs.join(n_e, "e").join(n_t, "t").withColumn("n_te", F.least("n_te", "n_e", "n_t"))
     information = F.log(many / F.col("n_e"))
@@ -158,26 +169,18 @@ def disclosing_terms(
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
-    """Add spans: direct identifiers and the terms that disclose them, as structs of start, rank, end, value.
+    """Add spans: direct identifiers and the terms that disclose one, as structs of start, rank, end, value.
 
+    A term that discloses any identifier has a span wherever it stands, in documents without identifiers too.
     rank 0 to 3 are the kinds of PATTERNS, 4 is a term to be generalised, 5 a term to be removed.
     """
     found = find_direct(docs, text)
-    width = limits.get("width", 4)
-    some = F.size("spans") > 0
-    holders = durable(fenced_filter(found, some).select(text, "spans"), "holders")
+    holders = durable(fenced_filter(found, F.size("spans") > 0).select(text, "spans"), "holders")
     pairs = disclosing_terms(docs, holders, text=text, **limits)
-    words = durable(
-        contexts(holders, width, text).join(pairs, ["e", "t"])
-        .groupBy("key").agg(F.collect_set(F.struct("t", "remove")).alias("_terms")),
-        "disclosing",
-    )
-    if words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        keyed = found.withColumn("key", F.when(some, F.md5(text)))
-        out = keyed.join(F.broadcast(words), "key", "left")
-    else:
-        plain = fenced_filter(found, ~some).withColumn("_terms", F.lit(None).cast(words.schema["_terms"].dataType))
-        out = fenced_filter(found, some).withColumn("key", F.md5(text)).join(words, "key", "left").drop("key").unionByName(plain)
+    terms = durable(pairs.groupBy("t").agg(F.max("remove").alias("remove")), "terms")
+    held = docs.select(F.md5(text).alias("key"), F.explode(_words(text)).alias("t")).join(_small(terms, F.array("t")), "t")
+    words = durable(held.groupBy("key").agg(F.collect_set(F.struct("t", "remove")).alias("_terms")), "disclosing")
+    out = found.withColumn("key", F.md5(text)).join(_small(words, F.col("_terms.t")), "key", "left")
     t = F.coalesce(F.col(text), F.lit(""))
     pattern = F.concat(
         F.lit(r"(?i)(?<!\p{L})(?:"), F.array_join(F.array_distinct(F.transform("_terms", lambda x: x["t"])), "|"), F.lit(r")(?!\p{L})")

@@ -166,6 +166,19 @@ def test_pii(spark, docs):
     assert pii.find_personal_data(empty(docs)).count() == 0
 
 
+def test_pii_terms_in_all_documents(spark):
+    rows = [f"note {w} call Zorblax at z@x.org {v} thanks" for w, v in zip(WORDS[:9], WORDS[9:18])] + [prose(20) + " thanks call note at" for _ in range(60)]
+    alone, far = "Tell zorblax, not Zorblaxes.", "z@x.org " + prose(40) + " Zorblax"
+    table = spark.createDataFrame([(t,) for t in [*rows, alone, far, None]], "text string")
+    for cap in (10**6, 0):
+        pii.BROADCAST_ROWS, before = cap, pii.BROADCAST_ROWS
+        found = pii.find_personal_data(table).collect()
+        pii.BROADCAST_ROWS = before
+        terms = {r.text: [(s.start, s.end, s.value) for s in r.spans if s.rank >= 4] for r in found}
+        assert len(found) == len(rows) + 3 and terms[alone] == [(5, 12, "zorblax")] and terms[far] == [(len(far) - 7, len(far), "Zorblax")]
+        assert sum(map(len, terms.values())) == 11
+
+
 def test_line_dedup(docs):
     def key(x):
         return re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\f\r"))
