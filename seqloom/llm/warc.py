@@ -35,7 +35,6 @@ RECORDS_PER_FILE = 4000
 GZIP = b"\x1f\x8b\x08"
 CRLF = b"\r\n"
 LENGTH = re.compile(rb"\d{1,12}")
-MOST_HEADERS = 65536
 RECORD = "record_id string, record_type string, url string, refers_to string, payload_digest string, payload_bytes long, payload binary, file string, start long"
 GAP = "file string, start long, end long, reason string"
 
@@ -83,25 +82,36 @@ def write_archives(pages: DataFrame, path: str, payload: str = "html", min_bytes
     sink.text(path)
 
 
-def _headers(data: bytes, at: int) -> tuple[dict[bytes, bytes], int] | None:
-    """Header fields of the record at a place, and where its block starts."""
+def _next(data: bytes, what: bytes, at: int, known: dict[bytes, int]) -> int:
+    """The next place of some bytes, or the size; known holds the last places, so that a walk reads the data once."""
+    if known.get(what, -1) < at:
+        place = data.find(what, at)
+        known[what] = len(data) if place < 0 else place
+    return known[what]
+
+
+def _headers(data: bytes, at: int, known: dict[bytes, int]) -> tuple[dict[bytes, bytes], int] | None:
+    """Header fields of the record at a place, and where its block starts. They may be of any length, up to the next version line."""
     if not data.startswith(b"WARC/1.", at):
         return None
-    end = data.find(CRLF + CRLF, at, at + MOST_HEADERS)
-    if end < 0:
+    first = _next(data, CRLF, at, known)
+    end = _next(data, CRLF + CRLF, first, known)
+    if end > _next(data, CRLF + b"WARC/1.", first, known) or end == len(data):
         return None
-    fields = {}
-    for line in data[at:end].split(CRLF)[1:]:
-        name, colon, value = line.partition(b":")
+    fields, at = {}, first + 2
+    while at < end:
+        stop = data.find(CRLF, at, end + 2)
+        name, colon, value = data[at:stop].partition(b":")
         if not colon:
             return None
         fields[name.strip().lower()] = value.strip()
+        at = stop + 2
     return fields, end + 4
 
 
-def _record(data: bytes, at: int) -> tuple[dict, int] | str:
+def _record(data: bytes, at: int, known: dict[bytes, int]) -> tuple[dict, int] | str:
     """The record at a place and where it ends, or why it fails its checks."""
-    found = _headers(data, at)
+    found = _headers(data, at, known)
     if found is None:
         return "headers"
     fields, start = found
@@ -124,7 +134,7 @@ def _record(data: bytes, at: int) -> tuple[dict, int] | str:
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
     """("record", start, end, fields) for each sound record and ("gap", start, end, reason) for the bytes between."""
-    at, size = 0, len(data)
+    at, size, known = 0, len(data), {}
     while at < size:
         reason: object = "headers"
         if data.startswith(GZIP, at):
@@ -140,7 +150,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
             except zlib.error:
                 reason = "member"
         else:
-            found = _record(data, at)
+            found = _record(data, at, known)
             if not isinstance(found, str):
                 yield "record", at, found[1], found[0]
                 at = found[1]

@@ -241,6 +241,15 @@ def test_warc(spark, tmp_path):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_warc_long_url(spark, tmp_path):
+    url = "http://a/" + "é" * 10 + "x" * 100_000
+    pages = spark.createDataFrame([(1, "http://b/", "<p>b</p>"), (2, url, "<p>a</p>"), (3, url, "<p>b</p>")], "page_id long, url string, html string")
+    assert sorted(r.page_id for r in warc.archive_pages(pages).collect()) == [1, 2, 3]
+    path = str(tmp_path / "w")
+    warc.write_archives(pages, path)
+    assert warc.read_gaps(spark, path).count() == 0 and {r.record_id: r.url for r in warc.read_archives(spark, path).collect()}["2"] == url
+
+
 def test_warc_salvage():
     def record(n, body):
         return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{n}>\r\nWARC-Payload-Digest: sha1:{base64.b32encode(hashlib.sha1(body).digest()).decode()}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
