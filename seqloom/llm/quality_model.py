@@ -15,6 +15,7 @@ result column are replaced.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
@@ -43,8 +44,8 @@ def measure(text: str | None) -> tuple[float, ...]:
     counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     letters = size - counts[:65].sum()
     share = counts[counts > 0] / size
-    seen = set(words)
-    most = max((words.count(w) for w in sorted(seen, key=len)[:8]), default=0) if len(seen) * 3 < n else 0
+    seen = Counter(words)
+    most = max(seen.values(), default=0)
     return (
         float(np.log1p(len(words))), (size - counts[9:14].sum() - counts[32]) / n, len(seen) / n, sum(map(eq, words, words[1:])) / n, most / n,
         counts[65:91].sum() / max(1, letters), (counts[[35, 36, 37, 38, 42, 60, 62]].sum()) / n, (counts[33] + counts[63]) / n, counts[124] / n,

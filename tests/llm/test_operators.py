@@ -228,6 +228,16 @@ def test_quality_model(spark, docs):
     assert quality_model.score(empty(docs), model).count() == 0
 
 
+def test_top_word_is_of_all_words():
+    top = quality_model.FEATURES.index("top_word")
+    stuffed = " ".join("supercalifragilistic" if i % 2 else WORDS[i % 18] for i in range(400))
+    junk = " ".join("|" if i % 20 < 9 else f"w{i}" for i in range(100))
+    for t in (stuffed, junk, *TEXTS):
+        words = (t or "").encode().split()
+        assert quality_model.measure(t)[top] == max(Counter(words).values(), default=0) / max(1, len(words))
+    assert quality_model.measure(stuffed)[top] >= 0.5 and quality_model.measure(junk)[top] == 0.45
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/\r\nx", "<p>é</p>"), (2, None, "<p>é</p>"), (5, "u", None), (4, "u", ""), (None, "n", "<p>é</p>"), (7, "v", "WARC/1.1\r\nfake\r\n\r\n" * 3), (7, "v", "other")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
