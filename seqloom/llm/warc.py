@@ -4,6 +4,7 @@ The writer makes one record per page. Pages with equal payloads make one respons
 page_id; the others become revisit records that name it. The reader walks an archive record by record; where a
 check fails (version line, headers, length, record end, digest) it searches for the next version line or,
 in compressed archives, the next gzip member, goes on from there and logs the bytes between as a quarantined gap.
+Of a broken gzip member it keeps the sound records that come before the damage.
 
 Defined results: a null payload is empty; a null url leaves out its header. Rows that repeat a page_id with
 the same payload are all what that page_id is. A null page_id is a response unless an equal payload has an id.
@@ -121,7 +122,10 @@ def _record(data: bytes, at: int, known: dict[bytes, int]) -> tuple[dict, int] |
     if data[end : end + 4] != CRLF + CRLF:
         return "record end"
     payload = data[start:end]
-    kind, digest = fields.get(b"warc-type", b"").decode(), fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode()
+    kind, digest = fields.get(b"warc-type", b""), fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:")
+    if not (kind.isascii() and digest.isascii()):
+        return "headers"
+    kind, digest = kind.decode(), digest.decode()
     if kind == "response" and digest and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
         return "digest"
     size = fields.get(b"x-payload-length", b"")
@@ -132,23 +136,49 @@ def _record(data: bytes, at: int, known: dict[bytes, int]) -> tuple[dict, int] |
     }, end + 4
 
 
+def _unpack(data: bytes, at: int, most: int | None = None) -> tuple[bytes, int, bool]:
+    """What the gzip member at a place unpacks to, up to its end, its first error or so many bytes; where that is; whether its end is sound."""
+    unzip, out, n, size = zlib.decompressobj(31), [], 0, len(data)
+    for step in (65536, 256, 1):
+        while at < size and not unzip.eof and (most is None or n < most):
+            before = unzip.copy()
+            try:
+                part = unzip.decompress(data[at : at + step])
+            except zlib.error:
+                unzip = before
+                break
+            if most is not None and n + len(part) >= most and step > 1:
+                unzip = before
+                break
+            out.append(part)
+            n += len(part)
+            at = min(at + step, size)
+    return b"".join(out), at - len(unzip.unused_data), unzip.eof
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
     """("record", start, end, fields) for each sound record and ("gap", start, end, reason) for the bytes between."""
     at, size, known = 0, len(data), {}
     while at < size:
         reason: object = "headers"
         if data.startswith(GZIP, at):
-            unzip = zlib.decompressobj(31)
-            try:
-                plain, end = unzip.decompress(data[at:]) + unzip.flush(), size - len(unzip.unused_data)
-                if unzip.eof:
-                    for kind, a, b, what in salvage(plain):
-                        yield (kind, at, end, what if kind == "record" else f"in member, {a} to {b}: {what}")
-                    at = end
+            plain, end, whole = _unpack(data, at)
+            if whole:
+                for kind, a, b, what in salvage(plain):
+                    yield (kind, at, end, what if kind == "record" else f"in member, {a} to {b}: {what}")
+                at = end
+                continue
+            reason = "member cut" if end == size else "member"
+            parts = list(salvage(plain))
+            while parts and parts[-1][0] == "gap":
+                parts.pop()
+            if parts:
+                end = _unpack(data, at, parts[-1][2])[1]
+                for kind, a, b, what in parts:
+                    yield (kind, at, end, what if kind == "record" else f"in member, {a} to {b}: {what}")
+                at = end
+                if at == size or data.startswith((b"WARC/1.", GZIP), at):
                     continue
-                reason = "member cut"
-            except zlib.error:
-                reason = "member"
         else:
             found = _record(data, at, known)
             if not isinstance(found, str):

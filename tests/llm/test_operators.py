@@ -276,6 +276,29 @@ def test_warc_salvage():
         assert all(x[2] <= y[1] for x, y in zip(parts, parts[1:])) and (not parts or (parts[0][1], parts[-1][2]) == (0, len(data)))
 
 
+def test_warc_salvage_damage():
+    def record(n, body):
+        digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{n}>\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    made = [record(i, random.Random(i).randbytes(300)) for i in range(400)]
+    for name in (b"response", b"sha1:"):
+        bad = bytearray(made[1])
+        bad[bad.index(name) + 6] = 0xE9
+        assert [p[0] for p in warc.salvage(made[0] + bytes(bad) + made[2])] == ["record", "gap", "record"]
+    all_ids = [str(i) for i in range(400)]
+    for level in (0, 6):
+        packed = gzip.compress(b"".join(made), level)
+        damaged, half, last = bytearray(packed), max(packed.find(made[200][-150:]), 0) or len(packed) // 2, gzip.compress(record(400, b"last"))
+        damaged[half : half + 40] = b"\xff" * 40
+        for data, least in ((bytes(damaged), 0), (packed[:half], 150), (packed[:-4], 400), (packed[:-8] + b"\0" * 8, 400)):
+            parts = list(warc.salvage(data + last))
+            ids = [p[3]["record_id"] for p in parts if p[0] == "record"]
+            want = [x for x in all_ids if x in ids[:-1]]
+            assert ids[-1] == "400" and ids[:-1] == want and len(want) >= least and ids[: len(want)][:100] == all_ids[:100]
+            assert (parts[0][1], parts[-1][2]) == (0, len(data) + len(last)) and any(p[0] == "gap" for p in parts)
+
+
 def plain_fingerprint(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     grams = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
