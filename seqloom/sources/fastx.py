@@ -1,7 +1,7 @@
 """Reader for FASTA and FASTQ files, plain or gzipped, on Spark's own file sources.
 
-Files are read by Spark, so any store that it reaches will do. Lines are numbered within their file by the text
-source's row position, and records are put together from them. FASTQ has four lines a record; a quality line may
+Files are read by Spark, so any store that it reaches will do. The commands load each file whole, as one row of the
+binary source, which fails on files over 2 GB, and records are put together from its lines in order. FASTQ has four lines a record; a quality line may
 begin with "@", so lines are counted and no marker is searched for. FASTA sequences may span lines.
 """
 
