@@ -40,8 +40,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/seqloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path below this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/seqloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; frames that still read them are void."""
+    remove(spark, f"{shared_dir(spark)}/seqloom/{spark.sparkContext.applicationId}")
+
+
+def unused(df: DataFrame, *names: str, beside: list[str] | None = None) -> list[str]:
+    """Names for helper columns that no column of the frame has, nor any beside it."""
+    taken = {c.lower() for c in [*df.columns, *(beside or [])]}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
@@ -60,10 +83,54 @@ def fenced_filter(df: DataFrame, condition: Column) -> DataFrame:
     The optimizer would move the condition below the projections that make its columns and repeat their
     expressions there; it leaves a condition alone that reads a value which differs from run to run.
     """
-    fence = "_fence"
+    (fence,) = unused(df, "_fence")
     return df.withColumn(fence, F.monotonically_increasing_id()).filter(condition & (F.col(fence) >= 0)).drop(fence)
 
 
+#: Frames of up to so many bytes may be sent to every task.
+BROADCAST_BYTES = 32 << 20
+#: A key with more than this share of the rows is hot; there are fewer than HOT_SHARE of them.
+HOT_SHARE = 500
+
+
+def small_or_plain(df: DataFrame, size: Column, most: int | None = None) -> tuple[DataFrame, bool]:
+    """The frame, marked for broadcast if its rows' sizes (bytes) add up to no more than the bound, and whether it is."""
+    total = df.agg(F.coalesce(F.sum(size.cast("long") + 16), F.lit(0))).first()[0]
+    fits = total <= (BROADCAST_BYTES if most is None else most)
+    return (F.broadcast(df), True) if fits else (df, False)
+
+
+def hot_keys(counts: DataFrame, key: list[str], n: str = "n", least: int = 200) -> DataFrame | None:
+    """Keys with more than one in HOT_SHARE of all rows, and _parts, into how many parts to deal each; None if there is none.
+
+    counts has one row for each key with its rows in column n; keys of up to ``least`` rows are never hot. Fewer than
+    HOT_SHARE rows come out, so they may be broadcast.
+    """
+    most = max(least, (counts.agg(F.sum(n)).first()[0] or 0) // HOT_SHARE)
+    hot = counts.filter(F.col(n) > most).select(*key, F.ceil(F.col(n) / most).cast("int").alias("_parts"))
+    rows = [tuple(r) for r in hot.collect()]
+    return counts.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """Join many rows a key with one row a key. Hot keys are dealt to several partitions: their row is repeated, their rows are dealt by place.
+
+    Rows without a key, which a left join keeps, are dealt by place as well.
+    """
+    if hot is None and how != "left":
+        return many.join(one, key, how)
+    if hot is None:
+        hot = one.limit(0).select(*key, F.lit(0).alias("_parts"))
+    salt, parts = unused(many, "_salt", "_parts", beside=one.columns)
+    hot = F.broadcast(hot.withColumnRenamed("_parts", parts))
+    lost = F.when(F.array_contains(F.array(*[F.col(k).isNull() for k in key]), True), HOT_SHARE)
+    place = F.monotonically_increasing_id() % F.coalesce(F.col(parts), lost, F.lit(1))
+    left = many.join(hot, key, "left").withColumn(salt, place.cast("int")).drop(parts)
+    each = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))
+    right = one.join(hot, key, "left").withColumn(salt, each).drop(parts)
+    return left.join(right, [*key, salt], how).drop(salt)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)
