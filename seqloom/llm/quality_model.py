@@ -4,13 +4,14 @@ Cyclic boosting: in each round every feature gets one shallow tree over its bins
 logistic loss and added to the feature's lookup table at a small rate. The pairs that explain most of what is left
 then get tables of their own in the same way. A score is the sum of looked-up values, one per feature and pair.
 
-The model is trained on the driver on at most ``max_rows`` labelled rows, those with the smallest hashes of
+The model is trained on the driver on at most ``max_rows`` labelled documents, those with the smallest hashes of
 their ids; features of the other rows never leave the executors. Only the text is an input.
 
 Defined results: a null text is empty and gets a score like any other. Rows without a label, with labels other
 than 0 and 1, or held out are not learned from; without any, the score is 0.5, with one class only it is that
-class's. Repeated rows get equal scores; an empty table gives an empty result. Input columns named like a
-result column are replaced.
+class's. Of rows that share a doc_id the smallest text is learned from, of its labels the largest. Repeated rows get equal
+scores; texts of any length are measured whole; an empty table gives an empty result. Input columns named like a
+result column are replaced, columns of other names pass through.
 """
 
 from __future__ import annotations
@@ -178,18 +179,30 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str = "quality"
     """Features and label of at most max_rows labelled documents, as columns x and y."""
     usable = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     field = T.StructField("x", T.ArrayType(T.DoubleType()))
     return map_text(rows, lambda: lambda t: (list(map(float, measure(t))),), [field], "text").select("x", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
-    rows = labelled_features(docs, labels, **options).limit(2 * options.get("max_rows", MAX_ROWS)).collect()
+    rows = labelled_features(docs, labels, **options).collect()
     rows.sort(key=lambda r: (r.y, r.x))
     x = np.array([r.x for r in rows], float).reshape(len(rows), len(FEATURES))
     return train(x, np.array([r.y for r in rows], float))
 
 
+def auc(scored: DataFrame, labels: DataFrame, label: str = "quality") -> float:
+    """Of held-out labelled rows, how often one of label 1 scores over one of label 0 (ties count half). Scores are counted by value first."""
+    known = labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
+    rows = scored.filter(held_out(F.col("doc_id"))).join(known, "doc_id").groupBy(F.round("score", 4).alias("s")).agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    wins = below = positives = 0.0
+    for r in rows.orderBy("s").collect():
+        wins += r.p * (below + r.q / 2)
+        below, positives = below + r.q, positives + r.p
+    return wins / (below * positives) if below and positives else 0.5
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
     """Add score and predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
