@@ -9,12 +9,13 @@ bits a subtree has at most 2**14 leaves, so no task holds an unbounded group. Ea
 gives the edges of a spanning forest of its links, not all pairs.
 
 Components come from repeated minimum labels with pointer jumping; each round is one table in the shared folder.
-A jump follows the labels of the round before, so a round reads that one table and writes one.
+A jump follows the labels of the round before, so a round reads that one table and writes one. Fingerprints of very many documents, nodes
+of very many links and labels of very many nodes are dealt to several tasks.
 
 Defined results: a null, empty or wordless text has fingerprint zero, which links like any other. Repeated
 rows and repeated doc_ids are members like others; a null doc_id is never a component_id unless its
-component has no other. An empty table gives an empty result. Input columns named like a result column are
-replaced.
+component has no other. Texts of any length are read whole. An empty table gives an empty result. Columns of other names are not
+returned by near_duplicates and pass through keep_representatives.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.llm.common import LOWER, UPPER, durable, map_text
+from seqloom.llm.common import LOWER, UPPER, durable, hot_keys, map_text, small_or_plain, spread_join, unused
 from seqloom.shipping import ship
 
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -194,36 +195,65 @@ def components(edges: DataFrame) -> DataFrame:
     Every round reads the edges, so they should be a table.
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "near")
+    hubs = hot_keys(both.groupBy("near").agg(F.count("*").alias("n")), ["near"])
     labels = durable(both.groupBy("node").agg(F.least("node", F.min("near")).alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("near"), "label"), "near").groupBy("node").agg(F.min("label").alias("low"))
+        near = spread_join(both, labels.select(F.col("node").alias("near"), "label"), ["near"], hubs).groupBy("node").agg(F.min("label").alias("low"))
         lower = labels.join(near, "node").select("node", "label", F.least("label", "low").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        moved = lower.join(jump, "low").select("node", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("moved"))
+        # The nodes of a large component have one label soon.
+        large = hot_keys(labels.groupBy(F.col("label").alias("low")).agg(F.count("*").alias("n")), ["low"])
+        moved = spread_join(lower, jump, ["low"], large).select("node", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("moved"))
         moved = durable(moved, "labels")
         labels = moved.select("node", "label")
         if moved.filter("moved").isEmpty():
             return labels
 
 
+def _members(docs: DataFrame, text: str, doc_id: str, max_group: int, *more: Column) -> DataFrame:
+    """doc_id, fp and further columns of every document, with its component's id and root."""
+    extra = [f"x{i}" for i in range(len(more))]
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[c.alias(x) for c, x in zip(more, extra, strict=True)])
+    fps = durable(add_fingerprint(base).select("doc_id", "fp", *extra), "fingerprints")
+    distinct = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "distinct")
+    labels = components(durable(links(distinct.select("fp"), max_group), "links"))
+    known = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", "n", F.coalesce("label", "fp").alias("label"))
+    known = durable(known, "known")
+    groups = known.groupBy("label").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    found = spread_join(known.select("fp", "label"), groups.drop("n"), ["label"], hot_keys(groups, ["label"]))
+    return spread_join(fps, found.select("fp", "label", "component_id"), ["fp"], hot_keys(distinct, ["fp"]))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_group: int = MAX_GROUP) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits) and component_id."""
-    fps = durable(add_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"), "fingerprints")
-    distinct = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    labels = components(durable(links(distinct.select("fp"), max_group), "links"))
-    known = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
-    roots = known.groupBy("label").agg(F.min("low").alias("component_id"))
-    found = known.join(roots, "label").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fps.join(found, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return _members(docs, text, doc_id, max_group).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents whose doc_id is their component's id; rows repeating an id count as one document.
+def keep_representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_group: int = MAX_GROUP, broadcast_bytes: int | None = None) -> DataFrame:
+    """One row of each component: that with the smallest doc_id (none comes last), then the smallest hashes of its text.
 
-    Rows without a doc_id can't be told apart and stay.
+    Rows with equal ids and texts count as one. What goes is decided on ids and hashes alone; if the keys of the rows that go are
+    small enough, they are sent to all tasks and no text is moved.
     """
-    found = near_duplicates(docs, text, doc_id)
-    ids = found.select(F.col("component_id").alias(doc_id)).filter(F.col(doc_id).isNotNull()).distinct()
-    kept = docs.join(ids, doc_id, "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(docs.filter(F.col(doc_id).isNull()))
+    one, two = unused(docs, "_hash1", "_hash2")
+    hashes = [F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.length(F.col(text)), F.col(text))]
+    rows = _members(docs, text, doc_id, max_group, *hashes)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x0", "x1")
+    keys = durable(rows.groupBy(key.alias("key"), "label").agg(F.count("*").alias("n")), "members")
+    first = keys.groupBy("label").agg(F.min("key").alias("first"), F.count("*").alias("k"))
+    judged = spread_join(keys, first.drop("k"), ["label"], hot_keys(first, ["label"], "k"))
+    judged = durable(judged.select(F.col("key.doc_id").alias(doc_id), F.col("key.x0").alias(one), F.col("key.x1").alias(two), "n", (F.col("key") == F.col("first")).alias("kept")), "judged")
+    plain = docs.withColumns({one: hashes[0], two: hashes[1]})
+    same = lambda a, b: [a[doc_id].eqNullSafe(b[doc_id]), a[one] == b[one], a[two] == b[two]]
+    size = F.coalesce(F.octet_length(F.col(doc_id).cast("string")), F.lit(0)) + 32
+    # Rows that repeat a kept one go as well; one of each comes back below.
+    gone = judged.filter(~F.col("kept") | (F.col("n") > 1))
+    small, _ = small_or_plain(gone.select(doc_id, one, two), size, broadcast_bytes)
+    out = plain.join(small, same(plain, small), "left_anti").select(*docs.columns)
+    repeated = judged.filter(F.col("kept") & (F.col("n") > 1)).select(doc_id, one, two)
+    if repeated.isEmpty():
+        return out
+    small, _ = small_or_plain(repeated, size, broadcast_bytes)
+    back = plain.join(small, same(plain, small), "left_semi").dropDuplicates([doc_id, one, two]).select(*docs.columns)
+    return out.unionByName(back)
