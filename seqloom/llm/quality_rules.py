@@ -4,9 +4,12 @@ Measurements and the mask are stored per document; a policy is a versioned mask
 enforces. Applying another policy, or asking what a rule alone costs, reads masks and no text.
 Everything is DataFrame functions.
 
+Repeated windows are looked for by hashes first; in texts that have some, windows are then told apart by their words, so the count is exact.
+The limits fit languages that put spaces between words; those on capitals and word length fit Latin letters.
+
 Defined results: a null or empty text has no words, so all measurements are zero and the rule on
-few words fails. Repeated rows are measured alike, whatever their doc_id. An empty table gives an
-empty ledger. Input columns named like a result column are replaced.
+few words fails. Texts of any length are measured whole. Repeated rows are measured alike, whatever their doc_id. An empty table
+gives an empty ledger. Input columns named like a result column are replaced, columns of other names pass through.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import SPACES
+from seqloom.llm.common import SPACES, unused
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -57,45 +60,56 @@ def policy_mask(policy: str) -> int:
 
 def _measured(docs: DataFrame, text: str) -> DataFrame:
     """The measurements; each stage's columns are used twice or more by the next, so none is inlined."""
+    out = docs.drop(*[m for m in (*MEASURES, "failed") if m != text])
+    words, lines, hashes, windows, placed, at = unused(out, "_words", "_lines", "_hashes", "_windows", "_placed", "_at")
     t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.drop(*MEASURES, "failed").withColumns(
+    out = out.withColumns(
         {
-            "_words": F.array_remove(F.split(t, f"[{SPACES}]+"), ""),
-            "_lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACES}]")),
+            words: F.array_remove(F.split(t, f"[{SPACES}]+"), ""),
+            lines: F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACES}]")),
         }
     )
     out = out.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_words": F.size(words).cast("long"),
+            "word_chars": F.length(F.array_join(words, "")).cast("long"),
             "n_symbols": F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long"),
             "n_upper": F.regexp_count(t, F.lit("[A-Z]")).cast("long"),
             "n_marks": F.regexp_count(t, F.lit("[!?]")).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_hashes": F.transform("_words", lambda w: F.xxhash64(w)),
+            "n_lines": F.size(lines).cast("long"),
+            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+            hashes: F.transform(words, lambda w: F.xxhash64(w)),
         }
-    ).drop("_words", "_lines")
+    ).drop(lines)
     # Hashes of 2, 4 and 8 words, each made of two shorter ones.
-    out = out.withColumn("_windows", F.when(F.size("_hashes") >= WINDOW, F.col("_hashes")).otherwise(F.array().cast("array<bigint>")))
+    out = out.withColumn(windows, F.when(F.size(hashes) >= WINDOW, F.col(hashes)).otherwise(F.array().cast("array<bigint>")))
     for width in (1, 2, 4):
-        n = F.size("_windows") - width
-        joined = F.zip_with(F.slice("_windows", 1, n), F.slice("_windows", width + 1, n), lambda a, b: F.xxhash64(a, b))
-        out = out.withColumn("_windows", F.when(F.size("_windows") > 0, joined).otherwise(F.col("_windows")))
-    again = F.size("_windows") > F.size(F.array_distinct("_windows"))
-    placed = F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    out = out.withColumn("_sorted", F.when(again, F.sort_array(placed)))
-    n = F.size("_sorted")
+        n = F.size(windows) - width
+        joined = F.zip_with(F.slice(windows, 1, n), F.slice(windows, width + 1, n), lambda a, b: F.xxhash64(a, b))
+        out = out.withColumn(windows, F.when(F.size(windows) > 0, joined).otherwise(F.col(windows)))
+    again = F.size(windows) > F.size(F.array_distinct(windows))
+    out = out.withColumn(placed, F.when(again, F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    out = out.withColumn(at, _repeated(placed))
+    # The windows found are told apart by their words.
+    spelled = F.transform(at, lambda i: F.struct(F.array_join(F.slice(F.col(words), i + 1, WINDOW), " ").alias("h"), i.alias("i")))
+    out = out.withColumn(placed, F.when(F.col(at).isNotNull(), F.sort_array(spelled)))
+    out = out.withColumn(at, _repeated(placed))
+    n = F.size(at)
+    steps = F.zip_with(F.slice(at, 1, n - 1), F.slice(at, 2, n - 1), lambda a, b: F.least(b - a, F.lit(WINDOW)))
+    covered = F.when(n > 0, F.aggregate(steps, F.lit(WINDOW), lambda x, y: x + y))
+    out = out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+    return out.drop(words, hashes, windows, placed, at)
+
+
+def _repeated(placed: str) -> Column:
+    """Places of the entries that equal a neighbour, of an array of struct<h, i> sorted by h; null for null."""
+    n = F.size(placed)
     pairs = F.zip_with(
-        F.slice("_sorted", 1, n - 1), F.slice("_sorted", 2, n - 1),
+        F.slice(placed, 1, n - 1), F.slice(placed, 2, n - 1),
         lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")),
     )
-    out = out.withColumn("_at", F.when(F.col("_sorted").isNotNull(), F.sort_array(F.array_distinct(F.flatten(pairs)))))
-    n = F.size("_at")
-    steps = F.zip_with(F.slice("_at", 1, n - 1), F.slice("_at", 2, n - 1), lambda a, b: F.least(b - a, F.lit(WINDOW)))
-    covered = F.aggregate(steps, F.lit(WINDOW), lambda x, y: x + y)
-    out = out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-    return out.drop("_hashes", "_windows", "_sorted", "_at")
+    some = F.when(n > 1, F.sort_array(F.array_distinct(F.flatten(pairs)))).otherwise(F.array().cast("array<int>"))
+    return F.when(F.col(placed).isNotNull(), some)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -110,20 +124,26 @@ def apply_policy(book: DataFrame, policy: str = "2026-1", name: str = "kept") ->
     return book.withColumn(name, F.col("failed").bitwiseAND(F.lit(policy_mask(policy))) == 0)
 
 
-def ablation(book: DataFrame, policy: str = "2026-1") -> DataFrame:
-    """For each rule of a policy: documents that fail it, and documents that only it rejects.
+def ablation(book: DataFrame, *policies: str) -> DataFrame:
+    """For each rule of each policy (all if none is named): documents that fail it, and documents that only it rejects.
 
-    Masks are counted first, so what is moved is bounded by the number of masks.
+    Masks are counted first, so what is moved is bounded by the number of masks; all policies are applied to the counts.
     """
-    mask = policy_mask(policy)
-    masks = book.groupBy(F.col("failed").bitwiseAND(F.lit(mask)).alias("m")).agg(F.count("*").alias("n"))
-    rules = [r for r in RULES if mask >> r.bit & 1]
-    one = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(1 << r.bit).cast("long").alias("b")) for r in rules]))
+    bits = {r.name: 1 << r.bit for r in RULES}
+    entries = [(p, policy_mask(p), name, bits[name]) for p in policies or POLICIES for name in POLICIES[p]]
+    masks = book.groupBy("failed").agg(F.count("*").alias("n"))
+    each = F.array(
+        *[
+            F.struct(F.lit(p).alias("policy"), F.lit(m).cast("long").alias("all"), F.lit(name).alias("rule"), F.lit(b).cast("long").alias("bit"))
+            for p, m, name, b in entries
+        ]
+    )
+    failed, bit = F.col("failed"), F.col("r.bit")
     return (
-        masks.select("m", "n", one.alias("r"))
-        .groupBy(F.col("r.rule").alias("rule"))
+        masks.select("failed", "n", F.explode(each).alias("r"))
+        .groupBy(F.col("r.policy").alias("policy"), F.col("r.rule").alias("rule"))
         .agg(
-            F.sum(F.when(F.col("m").bitwiseAND(F.col("r.b")) != 0, F.col("n")).otherwise(0)).alias("n_failed"),
-            F.sum(F.when(F.col("m") == F.col("r.b"), F.col("n")).otherwise(0)).alias("n_only"),
+            F.sum(F.when(failed.bitwiseAND(bit) != 0, F.col("n")).otherwise(0)).alias("n_failed"),
+            F.sum(F.when(failed.bitwiseAND(F.col("r.all")) == bit, F.col("n")).otherwise(0)).alias("n_only"),
         )
     )
