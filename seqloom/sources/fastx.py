@@ -1,19 +1,27 @@
-"""Reader for FASTA and FASTQ files, plain or gzipped, on Spark's own file sources.
+"""Readers for FASTA and FASTQ files, plain or gzipped, on Spark's own file sources, so any store that it reaches will do.
 
-Files are read by Spark, so any store that it reaches will do. The commands load each file whole, as one row of the
-binary source, which fails on files over 2 GB, and records are put together from its lines in order. FASTQ has four lines a record; a quality line may
-begin with "@", so lines are counted and no marker is searched for. FASTA sequences may span lines.
+read_reads streams lines through the text source: plain files are split, gzipped ones are one task each, and neither is held in
+memory. FASTQ has four lines a record, and a quality line may begin with "@", so records are found by counting lines: a first pass
+counts the lines of each block of a file and notes its first and last three, the sums tell on which line of a record each block
+begins, and in a second pass each task puts its block's records together. Records that blocks share are made of the noted lines. FASTA records are cut at line feed and ">" by the source itself;
+their sequences may span lines.
+
+read_fastx loads each file whole (as one row of the binary source, up to 2 GB); it reads gzipped files of any name and files that mix formats.
 """
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqloom.shared import first_bytes
 from seqloom.shipping import ship
 
 #: Suffixes taken off a file's stem, tried in this order, one at most.
@@ -72,7 +80,7 @@ def read_fastx(spark: SparkSession, *paths: str, mode: str = "FAILFAST", partiti
     """One row per record: sample, id, sequence, quality (null for FASTA).
 
     A file is read by one task, as its packing doesn't split; give partitions to spread few large files.
-    mode PERMISSIVE leaves out what follows a malformed record of its file, FAILFAST fails the query.
+    mode PERMISSIVE leaves out what follows a malformed record of its file and says so in the task's log, FAILFAST fails the query.
     """
     ship(spark)
 
@@ -87,9 +95,10 @@ def read_fastx(spark: SparkSession, *paths: str, mode: str = "FAILFAST", partiti
                         if len(rows) == BATCH:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                             rows = []
-                except FastxError:
+                except FastxError as e:
                     if mode != "PERMISSIVE":
                         raise
+                    logging.getLogger("seqloom").warning("left out the rest of a file: %s", e)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
@@ -104,10 +113,134 @@ def check_samples(paths: list[str]) -> None:
         raise ValueError(f"inputs share a sample name: {sorted(n for n in set(names) if names.count(n) > 1)}")
 
 
-def read_fasta_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """FASTA through the text source, which splits large plain files: records are cut at line feed and '>'."""
-    rows = spark.read.option("lineSep", "\n>").text(path).filter(F.length("value") > 0)
+    rows = spark.read.option("lineSep", "\n>").text(list(paths)).select("value", F.col("_metadata.file_path").alias("path"))
     body = F.regexp_replace("value", "^>", "")
     head = F.substring_index(body, "\n", 1)
     rest = F.regexp_replace(F.substring(body, F.length(head) + 1, F.length(body)), "[\r\n]", "")
-    return rows.select(F.rtrim(head).alias("id"), rest.alias("sequence"), F.lit(None).cast("string").alias("quality"))
+    return rows.filter(F.length(F.trim("value")) > 0).select("path", F.rtrim(head).alias("id"), rest.alias("sequence"), F.lit(None).cast("string").alias("quality"))
+
+
+def _record(lines: list[str], where: str) -> tuple[str, str, str] | None:
+    """A record of four lines; None for blank lines at the end of a file."""
+    if not any(x.strip() for x in lines):
+        return None
+    if len(lines) < 4 or not lines[0].startswith("@") or not lines[2].startswith("+") or len(lines[1]) != len(lines[3]):
+        raise FastxError(f"{where}: malformed record {lines[0]!r}")
+    return lines[0][1:], lines[1], lines[3]
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, int, int]]:
+    """path, block, low and high of each run of rows of one block; path and block are the first columns."""
+    if batch.num_rows:
+        path, block = batch.column(0), batch.column(1)
+        new = pc.or_(pc.not_equal(path[1:], path[:-1]), pc.not_equal(block[1:], block[:-1])).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            yield path[low].as_py(), block[low].as_py(), low, high
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block: how many lines it has, its first three and its last three."""
+    found: dict[tuple[str, int], tuple[int, list[str], list[str]]] = {}
+    for batch in batches:
+        for path, block, low, high in _runs(batch):
+            n, first, last = found.get((path, block), (0, [], []))
+            lines = batch.column(2)
+            first = first + lines[low : min(high, low + 3 - len(first))].to_pylist()
+            last = (last + lines[max(low, high - 3) : high].to_pylist())[-3:]
+            found[path, block] = (n + high - low, first, last)
+    rows = [(path, block, *x) for (path, block), x in found.items()]
+    columns = zip(*rows, strict=True) if rows else [[]] * 5
+    types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()))
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ("path", "block", "n", "head", "tail"))
+
+
+def _checked(lines: list[str], where: str, mode: str) -> tuple[str, str, str] | None:
+    try:
+        return _record(lines, where)
+    except FastxError as e:
+        if mode != "PERMISSIVE":
+            raise
+        logging.getLogger("seqloom").warning("left out: %s", e)
+        return None
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ("path", "id", "sequence", "quality"))
+
+
+def read_fastq_lines(spark: SparkSession, *paths: str, mode: str = "FAILFAST") -> DataFrame:
+    """path, id, sequence, quality of FASTQ files with four lines a record and no blank lines but at the end.
+
+    mode PERMISSIVE leaves malformed records out and says so in the task's log, FAILFAST fails the query.
+    """
+    ship(spark)
+    block = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.option("lineSep", "\n").text(list(paths)).select(*block, F.rtrim(F.col("value"), F.lit("\r")).alias("line"))
+    edges = lines.mapInArrow(_edges, "path string, block long, n long, head array<string>, tail array<string>")
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = edges.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # A row for each block of a file: some bytes for every 128 MB read, so it goes to all tasks.
+    placed = lines.join(F.broadcast(starts.select("path", "block", "first")), ["path", "block"]).select("path", "block", "first", "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, number, held = None, 0, []
+        for batch in batches:
+            for path, block, low, high in _runs(batch):
+                if here != (path, block):
+                    here, number, held = (path, block), batch.column(2)[low].as_py(), []
+                skip = min(-number % 4, high - low) if not held else 0
+                part = held + batch.column(3)[low + skip : high].to_pylist()
+                number += high - low
+                whole = len(part) - len(part) % 4
+                rows = [(path, *r) for k in range(0, whole, 4) if (r := _checked(part[k : k + 4], path, mode))]
+                held = part[whole:]
+                for k in range(0, len(rows), BATCH):
+                    yield _batch(rows[k : k + BATCH])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            rows = [(p, *r) for p, x in parts if (r := _checked([y["line"] for y in sorted(x, key=lambda y: y["at"])], p, mode))]
+            if rows:
+                yield _batch(rows)
+
+    end = F.col("first") + F.col("n")
+    # A block's lines that belong to a record which an earlier block began, or which a later one ends.
+    head = F.transform("head", lambda x, i: F.struct((F.col("first") + i).alias("at"), x.alias("line")))
+    tail = F.transform("tail", lambda x, i: F.struct((end - F.size("tail") + i).alias("at"), x.alias("line")))
+    head = F.filter(head, lambda x: (F.col("first") % 4 != 0) & (F.floor(x["at"] / 4) == F.floor(F.col("first") / 4)))
+    tail = F.filter(tail, lambda x: (end % 4 != 0) & (F.floor(x["at"] / 4) == F.floor(end / 4)))
+    shared = starts.select("path", F.explode(F.array_distinct(F.concat(head, tail))).alias("x"))
+    shared = shared.groupBy("path", F.floor(F.col("x.at") / 4)).agg(F.collect_list("x").alias("lines")).select("path", "lines")
+    schema = "path string, id string, sequence string, quality string"
+    return placed.mapInArrow(run, schema).unionByName(shared.mapInArrow(join, schema))
+
+
+def read_reads(spark: SparkSession, *paths: str, mode: str = "FAILFAST") -> DataFrame:
+    """sample, id, sequence, quality of FASTA and FASTQ files, plain or gzipped, as streams of lines.
+
+    A file's first byte tells its format. Files gzipped under another name are read whole by read_fastx.
+    """
+    kinds: dict[str, list[str]] = {"@": [], ">": [], "": []}
+    for path in paths:
+        packed = path.endswith(".gz")
+        head = (spark.read.text(path).limit(1).collect() or [None])[0] if packed else first_bytes(spark, path)
+        first = head.value[:1] if packed and head else "" if packed else head[:1].decode("latin-1")
+        kinds[first if first in kinds else ""].append(path)
+    out = None
+    for kind, some in kinds.items():
+        if some:
+            df = read_fastq_lines(spark, *some, mode=mode) if kind == "@" else read_fasta_lines(spark, *some) if kind == ">" else None
+            df = read_fastx(spark, *some, mode=mode) if df is None else _sampled(df)
+            out = df if out is None else out.unionByName(df)
+    return out
+
+
+def _sampled(df: DataFrame) -> DataFrame:
+    """The file's sample name instead of its path."""
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    name = F.regexp_replace(name, "(" + "|".join(s.replace(".", r"\.") for s in SUFFIXES) + ")$", "")
+    return df.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("sample"), "id", "sequence", "quality")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import time
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,16 +12,21 @@ from seqloom.construct import Construct
 from seqloom.functions.reads import two_decimals
 from seqloom.operators.counting import fasta_header, ranked
 from seqloom.operators.matching import random_region
+from seqloom.shared import write_text
 
 FORMATS = ("parquet", "csv", "tsv", "fasta")
+#: Suffixes of files of filtered reads.
+READ_SUFFIXES = {"auto": "fq", "fasta": "fa", "fastq": "fq", "fastq.gz": "fq.gz"}
 
 
 def write_parquet(table: DataFrame, path: str, metadata: dict[str, str] | None = None) -> None:
-    """ZSTD Parquet; the metadata travels in the schema of the first column."""
-    if metadata:
-        first = table.columns[0]
-        table = table.withMetadata(first, {f"seqloom.{k}": str(v) for k, v in metadata.items()})
+    """ZSTD Parquet; the metadata travels in the schema of the first column and in _facts.json beside the files."""
+    facts = {f"seqloom.{k}": str(v) for k, v in (metadata or {}).items()}
+    if facts:
+        table = table.withMetadata(table.columns[0], facts)
     table.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    if facts:
+        write_text(table.sparkSession, f"{path}/_facts.json", json.dumps(facts, indent=2))
 
 
 def metadata(total: int, source: str, construct: Construct | None = None, version: str = "1") -> dict[str, str]:
@@ -37,6 +41,11 @@ def write_delimited(table: DataFrame, path: str, sep: str = ",") -> None:
     rows.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
 
 
+def write_csv(table: DataFrame, path: str) -> None:
+    """A table in its order, with a header."""
+    table.write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_fasta(table: DataFrame, path: str) -> None:
     fasta_header(ranked(table)).orderBy(F.desc("count"), "sequence").select("value").write.mode("overwrite").text(path)
 
@@ -69,11 +78,5 @@ def write_reads(reads: DataFrame, path: str, kind: str = "auto") -> None:
 
 def write_random_regions(matched: DataFrame, path: str) -> None:
     """The first random region of each matched read as FASTA; an empty region is an empty line."""
-    rows = matched.withColumn("_r", random_region()).filter(F.col("_r").isNotNull())
-    rows.select(F.concat(F.lit(">"), "id", F.lit("\n"), "_r").alias("value")).write.mode("overwrite").text(path)
-
-
-def write_text(path: str, text: str) -> None:
-    """A small report, written by the driver to a path of its own machine."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(text)
+    rows = matched.select("id", random_region().alias("region")).filter(F.col("region").isNotNull())
+    rows.select(F.concat(F.lit(">"), "id", F.lit("\n"), "region").alias("value")).write.mode("overwrite").text(path)
