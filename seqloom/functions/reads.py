@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,17 +17,29 @@ def normalize(sequence: Column) -> Column:
 
 
 def min_hamming(sequence: Column, pattern: str) -> Column:
-    """Fewest mismatches of the pattern against all windows; null for a read shorter than the pattern."""
-    n = len(pattern)
-    starts = F.sequence(F.lit(1), F.length(sequence) - (n - 1))
+    """Fewest mismatches of the pattern against all windows; null for a null read or one shorter than the pattern.
 
-    def mismatches(at: Column) -> Column:
-        total = F.lit(0)
-        for k, letter in enumerate(pattern):
-            total = total + F.when(F.substring(sequence, at + k, F.lit(1)) != letter, 1).otherwise(0)
-        return total
+    All reads of an Arrow batch are compared at once, one letter of the pattern at a time. Pass null for reads that don't matter: they cost nothing.
+    """
 
-    return F.when(F.length(sequence) >= n, F.array_min(F.transform(starts, mismatches)))
+    def fewest(reads: pd.Series) -> pd.Series:
+        n = len(pattern)
+        lengths = reads.str.len().fillna(0).astype("int64").to_numpy()
+        some = np.flatnonzero(lengths >= n)
+        out = pd.Series([None] * len(reads), dtype="Int32")
+        if len(some):
+            letters = np.frombuffer("".join(reads.iloc[some]).encode("utf-32-le"), "<u4")
+            wrong = np.zeros(len(letters) - n + 1, "int32")
+            for k, letter in enumerate(pattern):
+                wrong += letters[k : len(letters) - n + 1 + k] != ord(letter)
+            starts = np.concatenate([[0], np.cumsum(lengths[some])[:-1]])
+            # Windows that reach into the next read count for neither.
+            for k in range(1, n):
+                wrong[starts[1:] - k] = n + 1
+            out.iloc[some] = np.minimum.reduceat(wrong, starts)
+        return out
+
+    return F.pandas_udf(fewest, "int")(sequence)
 
 
 def near_miss_bucket(distance: Column, depth: int) -> Column:
@@ -66,4 +80,6 @@ def two_decimals(value: Column) -> Column:
 def fenced_filter(df: DataFrame, condition: Column) -> DataFrame:
     """Filter on computed columns without computing them twice: the optimizer leaves such a condition where it is."""
     fence = "_fence"
+    while fence in df.columns:
+        fence += "_"
     return df.withColumn(fence, F.monotonically_increasing_id()).filter(condition & (F.col(fence) >= 0)).drop(fence)

@@ -85,8 +85,8 @@ def near_miss(df: DataFrame, construct: Construct, depth: int = 3, sequence: str
         if not depth:
             df = df.withColumn(f"_b{k}", F.lit(None).cast("int"))
             continue
-        # The distance is a projection of its own: its bucket reads it three times.
-        df = df.withColumn(f"_d{k}", F.when(F.col(_anchor(k)) == 0, min_hamming(F.upper(F.col(sequence)), c)))
+        # The distance is a projection of its own: its bucket reads it three times. Only missed reads are compared.
+        df = df.withColumn(f"_d{k}", min_hamming(F.when(F.col(_anchor(k)) == 0, F.upper(F.col(sequence))), c))
         df = df.withColumn(f"_b{k}", near_miss_bucket(F.col(f"_d{k}"), depth)).drop(f"_d{k}")
     return df
 

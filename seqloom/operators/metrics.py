@@ -73,14 +73,21 @@ def rand_length_dist(df: DataFrame, weight: str | None = None) -> DataFrame:
     return out.groupBy("rand_idx", F.col("r.length").alias("length")).agg(F.sum("w").cast("long").alias("n"))
 
 
+#: More positions than this are rows, not columns of one aggregation.
+MOST_POSITIONS = 64
+
+
 def composition(df: DataFrame, construct: Construct, weight: str | None = None, sequence: str = "sequence") -> DataFrame:
     """rand_idx, position (1-based) and counts of A, T, G, C in the random regions of matched reads.
 
-    A matched read's region is no longer than its segment's maximum, so the positions are columns of one
-    aggregation, without a row for each base; positions beyond the longest region are left out.
+    A matched read's region is no longer than its segment's maximum, so the positions of short segments are columns of one
+    aggregation, without a row for each base; positions beyond the longest region are left out. Constructs with more than
+    MOST_POSITIONS have a row for each base instead, as their plan would grow with the maximum.
     """
     if not construct.rands:
         return df.sparkSession.createDataFrame([], "rand_idx int, position int, A long, T long, G long, C long")
+    if sum(r.max_len for _, r in construct.rands) > MOST_POSITIONS:
+        return _composition_rows(df, weight, sequence)
     columns = []
     for k, (_, r) in enumerate(construct.rands):
         place = F.get("rand_regions", F.lit(k))
@@ -100,6 +107,24 @@ def composition(df: DataFrame, construct: Construct, weight: str | None = None,
     return out.filter(F.col("position") <= F.col("m")).drop("m")
 
 
+def _composition_rows(df: DataFrame, weight: str | None, sequence: str) -> DataFrame:
+    regions = fenced_filter(df, F.col("matched")).select(F.posexplode("rand_regions").alias("rand_idx", "r"), F.upper(F.col(sequence)).alias("s"), _weight(weight).alias("w"))
+    bases = F.split(F.substring(F.col("s"), F.col("r.start") + 1, F.col("r.length")), "")
+    rows = regions.filter(F.col("r.length") > 0).select("rand_idx", "w", F.posexplode(bases).alias("at", "base"))
+    counts = [_sum(F.col("base").isin(*letters), F.col("w")).alias(letters[0]) for letters in ("A", "TU", "G", "C")]
+    return rows.groupBy("rand_idx", (F.col("at") + 1).alias("position")).agg(*counts)
+
+
+def outcomes(df: DataFrame, construct: Construct, weight: str | None = None) -> DataFrame:
+    """mask, matched, const (the one that was not found), bucket (its near-miss bucket) and n: a small table that holds all counts of the report but lengths and bases."""
+    missed, bucket = F.lit(None).cast("int"), F.lit(None).cast("int")
+    for k in range(len(construct.consts)):
+        here = F.col(f"_p{k}") == 0
+        missed = F.when(here, k).otherwise(missed)
+        bucket = F.when(here, F.col(f"_b{k}") if f"_b{k}" in df.columns else F.lit(None).cast("int")).otherwise(bucket)
+    return df.groupBy("mask", "matched", missed.alias("const"), bucket.alias("bucket")).agg(F.sum(_weight(weight)).cast("long").alias("n"))
+
+
 def composition_pct(counts: DataFrame) -> DataFrame:
     total = F.col("A") + F.col("T") + F.col("G") + F.col("C")
     return counts.select("rand_idx", "position", *[percent(F.col(b), total).alias(f"{b}_pct") for b in "ATGC"])
