@@ -14,7 +14,7 @@ from seqloom.plans.registry import QUERIES
 HEADLINE = (
     "match_annotate", "valid_filter", "failure_breakdown", "summary", "per_const_stats", "per_rand_stats", "rand_length_dist",
     "composition", "combinations_top20", "count_sequences", "count_table", "ranked_fasta_lines", "analysis_table", "validate_and",
-    "structure_pairs", "enrichment",
+    "structure_pairs", "enrichment", "analyze_end_to_end",
 )
 
 
@@ -27,6 +27,11 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    # Code is compiled and workers are started before the clock runs.
+    small = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
+    if os.path.isdir(small):
+        for name in ("match_annotate", "per_const_stats", "analysis_table"):
+            QUERIES[name](spark, small).write.format("noop").mode("overwrite").save()
     times = {}
     for name in HEADLINE:
         began = time.time()

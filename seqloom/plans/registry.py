@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from seqloom.construct import Construct
 from seqloom.functions import reads as R
 from seqloom.operators import counting, criteria, matching, metrics
-from seqloom.plans import pipelines
+from seqloom.plans import pipelines, reports
+from seqloom.shared import scratch, write_text
 from seqloom.sources import sinks
+from seqloom.sources.fastx import read_fastq_lines, read_reads
 
 MAIN = Construct.parse("const:AAAAAA", "rand:8-12", "const:TTTTTT")
 LEADING = Construct.parse("rand:0-5", "const:AAAAAA", "rand:8-12", "const:TTTTTT")
@@ -292,6 +294,91 @@ _add(
         for f, b in [("ok_constant", "count(*)"), ("ok_length", "count(*)"), *[(x, "count(*) filter (ok_constant)") for x in _FLAGS[2:]], ("valid", "count(*)")]
     ),
 )
+_add(
+    "validate_quality_or",
+    lambda s, d: criteria.judge(reads(s, d), criteria.Criteria("TTTTTT", min_length=26, min_quality=14.0, mode="or")).select("id", "sequence", "ok_constant", "ok_length", "ok_quality", "valid"),
+    f"{RAW}, q as (select *, instr(seq, 'TTTTTT') > 0 as ok_constant, length(seq) >= 26 as ok_length, {MEAN} >= 14.0 as ok_quality from r) "
+    "select id, seq as sequence, ok_constant, ok_length, ok_quality, ok_constant or ok_length or ok_quality as valid from q",
+)
+
+
+def _counts_back(s: SparkSession, d: str, kind: str) -> DataFrame:
+    """The count table, written in a format and read back."""
+    path = scratch(s, kind)
+    sinks.write_counts(counting.count_table(reads(s, d)), path, kind)
+    if kind == "parquet":
+        return s.read.parquet(path)
+    if kind == "fasta":
+        back = read_reads(s, path)
+        parts = F.split("id", "-")
+        return back.select(parts[0].cast("bigint").alias("rank"), "sequence", parts[1].cast("bigint").alias("count"), parts[2].alias("rpm"))
+    return s.read.option("header", True).option("sep", "," if kind == "csv" else "\t").schema("rank bigint, sequence string, count bigint, rpm string").csv(path)
+
+
+def _reads_back(s: SparkSession, d: str, kind: str) -> DataFrame:
+    """The reads, written as files and read back by the splitting readers."""
+    path = scratch(s, kind)
+    sinks.write_reads(reads(s, d), path, kind)
+    if kind == "fastq.gz":
+        return read_fastq_lines(s, path).select("id", "sequence", "quality")
+    return read_reads(s, path).select("id", "sequence", "quality")
+
+
+_TEXT = f"{COUNTS} select rank, sequence, count, printf('%.2f', rpm) as rpm from t"
+_add("sink_parquet", lambda s, d: _counts_back(s, d, "parquet"), SQL["count_table"])
+for _kind in ("csv", "tsv", "fasta"):
+    _add(f"sink_{_kind}", lambda s, d, k=_kind: _counts_back(s, d, k), _TEXT)
+for _name, _kind, _quality in (("source_fastq", "fastq", "quality"), ("source_fastq_gz", "fastq.gz", "quality"), ("source_fasta", "fasta", "cast(null as varchar) as quality")):
+    _add(_name, lambda s, d, k=_kind: _reads_back(s, d, k), f"{RAW} select id, seq as sequence, {_quality} from r")
+
+
+def _regions_back(s: SparkSession, d: str) -> DataFrame:
+    path = scratch(s, "random")
+    sinks.write_random_regions(matching.valid(matching.annotate(reads(s, d), MAIN)), path)
+    return read_reads(s, path).select("id", F.col("sequence").alias("random_region"))
+
+
+_add("sink_random_regions", _regions_back, SQL["extract_random"])
+
+
+def _filtered_back(s: SparkSession, d: str) -> DataFrame:
+    path = scratch(s, "filtered")
+    sinks.write_reads(matching.valid(matching.annotate(reads(s, d), MAIN)), path, "fastq")
+    return read_reads(s, path).select("id", "sequence", "quality")
+
+
+_add("sink_filtered_reads", _filtered_back, SQL["valid_filter"])
+
+
+def _report_rows(s: SparkSession, d: str) -> DataFrame:
+    """The report's constants, from its JSON file."""
+    path = f"{scratch(s, 'report')}.json"
+    write_text(s, path, reports.as_json(reports.report(unique(s, d, near=True).persist(), MAIN, "count")))
+    near = [F.col(f"c.near_miss.`{n}`").alias(f"near_{k + 1}") for k, n in enumerate(reports.NEAR)]
+    rows = s.read.option("multiLine", True).json(path).select(F.explode("per_const_segment").alias("c"))
+    return rows.select("c.sequence", "c.found", "c.not_found", "c.found_pct", *near)
+
+
+_add("sink_report_json", _report_rows, f"select sequence, found, not_found, found_pct, near_1, near_2, near_3, near_4 from ({SQL['per_const_stats']})")
+_add(
+    "composition_rows",
+    lambda s, d: metrics._composition_rows(unique(s, d), "count", "sequence"),
+    SQL["composition"],
+)
+
+
+def analyze_end_to_end(s: SparkSession, d: str) -> DataFrame:
+    """What the analyze command does with reads in a table: match, count, report, write; returns the written table."""
+    path = scratch(s, "analyze")
+    pool = pipelines.match_unique(pipelines.normalized(reads(s, d)), MAIN).persist()
+    data = reports.report(pool, MAIN, "count")
+    write_text(s, f"{path}.report.json", reports.as_json(data))
+    sinks.write_parquet(counting.ranked(pipelines.analysis_table(pool)), f"{path}.parquet")
+    pool.unpersist()
+    return s.read.parquet(f"{path}.parquet")
+
+
+_add("analyze_end_to_end", analyze_end_to_end, SQL["analysis_table"])
 _ROUNDS = "select sequence, count(*)::bigint as count from (select seq as sequence, id from r) x where {} group by 1"
 _add(
     "enrichment",
