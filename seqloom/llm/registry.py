@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import bpe, decontaminate, html_extract, line_dedup, pii, quality_model, quality_rules, simhash, url_filter, warc
@@ -72,10 +73,15 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("by_rule"))
 
 
+def _has_rank(rank: int, span: Column) -> Column:
+    return span["rank"] == rank
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["rank"] < len(pii.KINDS))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    # A second parameter of the function would be the place in the array.
+    counts = [F.size(F.filter("spans", functools.partial(_has_rank, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
     digest = F.sha2(F.col("sanitised"), 256).alias("sanitised_sha256")
     return pii.sanitise(found).select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"), digest)
 
