@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,8 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from seqloom.functions.reads import fenced_filter
+from seqloom.shared import scratch, shared_dir
 from seqloom.shipping import ship
 
+__all__ = [
+    "ascii_lower", "clear_scratch", "durable", "fenced_filter", "hot_keys", "map_rows", "map_text", "remove", "scratch", "shared_dir", "small_or_plain",
+    "spread_join", "table", "unused",
+]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space of the word and line rules: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\f\r"
@@ -24,26 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where the cluster names one.
-
-    Only a single-machine session without that setting gets a temporary folder of its own.
-    """
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if known:
-        return known.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='seqloom-shared-')}"
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below this application's part of the shared folder."""
-    return f"{shared_dir(spark)}/seqloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of any file system that Spark reaches."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -77,16 +62,6 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fenced_filter(df: DataFrame, condition: Column) -> DataFrame:
-    """Filter on computed columns without computing them twice.
-
-    The optimizer would move the condition below the projections that make its columns and repeat their
-    expressions there; it leaves a condition alone that reads a value which differs from run to run.
-    """
-    (fence,) = unused(df, "_fence")
-    return df.withColumn(fence, F.monotonically_increasing_id()).filter(condition & (F.col(fence) >= 0)).drop(fence)
-
-
 #: Frames of up to so many bytes may be sent to every task.
 BROADCAST_BYTES = 32 << 20
 #: A key with more than this share of the rows is hot; there are fewer than HOT_SHARE of them.
