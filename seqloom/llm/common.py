@@ -83,8 +83,8 @@ def hot_keys(counts: DataFrame, key: list[str], n: str = "n", least: int = 200)
     """
     most = max(least, (counts.agg(F.sum(n)).first()[0] or 0) // HOT_SHARE)
     hot = counts.filter(F.col(n) > most).select(*key, F.ceil(F.col(n) / most).cast("int").alias("_parts"))
-    rows = [tuple(r) for r in hot.collect()]
-    return counts.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+    hot = durable(hot, "hot-keys")
+    return None if hot.isEmpty() else hot
 
 
 def spread_join(many: DataFrame, one: DataFrame, key: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
