@@ -78,6 +78,8 @@ class LineRuns:
         #: By level: the run's name and its rows, or None. Its table is the folder of that name.
         self.levels: list[tuple[str, int] | None] = []
         self.tables: dict[str, str] = {}
+        #: Counted batches: their tables and folders.
+        self.counts: dict[str, str] = {}
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, min_docs: int = 10, min_chars: int = 1, buckets: int | None = None) -> LineRuns:
@@ -144,6 +146,7 @@ class LineRuns:
         path, name = scratch(self.spark, "line-batches"), f"seqloom_batch_{uuid.uuid4().hex}"
         with self._merging():
             counts.write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").option("path", path).saveAsTable(name)
+        self.counts[name] = path
         table = self.spark.table(name)
         return [table.filter(F.col(f"n{b}") > 0).select("h", F.col(f"n{b}").alias("n")) for b in range(n)]
 
@@ -181,10 +184,26 @@ class LineRuns:
         self.spark.sql(f"drop table if exists {self.tables.pop(run)}")
         remove(self.spark, f"{self.path}/{run}")
 
-    def add_documents(self, docs: DataFrame, text: str = "text") -> None:
-        """A batch of documents."""
-        for batch in self.counted(docs, 1, text):
+    def add_documents(self, docs: DataFrame, text: str = "text", batches: int = 1) -> None:
+        """A batch of documents, or several of one table."""
+        for batch in self.counted(docs, batches, text):
             self.add(batch)
+        self._forget_counts()
+
+    def _forget_counts(self) -> None:
+        for name, path in self.counts.items():
+            self.spark.sql(f"drop table if exists {name}")
+            remove(self.spark, path)
+        self.counts.clear()
+
+    def close(self, delete: bool = False) -> None:
+        """Take the runs out of the session's catalog; their files stay, for another open, unless delete is said."""
+        self._forget_counts()
+        for name in self.tables.values():
+            self.spark.sql(f"drop table if exists {name}")
+        self.tables.clear()
+        if delete:
+            remove(self.spark, self.path)
 
     def settled(self) -> DataFrame:
         """Keys that min_docs documents or more hold. A key is settled in one run only, so nothing is to be merged."""
@@ -241,10 +260,11 @@ def dedup_lines(
     Without runs, a table at rest goes into new ones as several batches, and a key counts over all of them. With the runs of an earlier
     table, the documents are one more batch, and keys of documents seen before count too.
     """
-    if runs is None:
+    own = runs is None
+    if own:
         runs = LineRuns.create(docs.sparkSession, scratch(docs.sparkSession, "line-runs"), min_docs, min_chars)
-        for batch in runs.counted(docs, batches, text):
-            runs.add(batch)
-    else:
-        runs.add_documents(docs, text)
-    return drop_lines(docs, runs.settled(), runs.min_chars, text, broadcast_keys)
+    runs.add_documents(docs, text, batches if own else 1)
+    out = drop_lines(docs, runs.settled(), runs.min_chars, text, broadcast_keys)
+    if own:  # the settled keys are in a table of their own by now
+        runs.close(delete=True)
+    return out
