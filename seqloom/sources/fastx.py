@@ -1,10 +1,10 @@
 """Readers for FASTA and FASTQ files, plain or gzipped, on Spark's own file sources, so any store that it reaches will do.
 
-read_reads streams lines through the text source: plain files are split, gzipped ones are one task each, and neither is held in
-memory. FASTQ has four lines a record, and a quality line may begin with "@", so records are found by counting lines: a first pass
-counts the lines of each block of a file and notes its first and last three, the sums tell on which line of a record each block
-begins, and in a second pass each task puts its block's records together. Records that blocks share are made of the noted lines. FASTA records are cut at line feed and ">" by the source itself;
-their sequences may span lines.
+read_reads streams rows through the text source: plain files are split, gzipped ones are one task each, and neither is held in
+memory. FASTQ has four lines a record, and a quality line may begin with "@" or "+", so records are found by counting lines. A gzipped
+file is read once, from its start. In plain ones a first pass counts the lines of each block and notes its first and last three, the sums
+tell on which line of a record each block begins, and in a second pass each task puts its block's records together. Records that blocks
+share are made of the noted lines. FASTA records are cut at line feed and ">" by the source itself; their sequences may span lines.
 
 read_fastx loads each file whole (as one row of the binary source, up to 2 GB); it reads gzipped files of any name and files that mix formats.
 """
@@ -126,6 +126,9 @@ def _record(lines: list[str], where: str) -> tuple[str, str, str] | None:
     """A record of four lines; None for blank lines at the end of a file."""
     if not any(x.strip() for x in lines):
         return None
+    if len(lines) == 3 and lines[2] == "+":
+        # The source drops a cut at the very end of a file: the quality of one base, "+", without a line feed.
+        lines = [*lines, "+"]
     if len(lines) < 4 or not lines[0].startswith("@") or not lines[2].startswith("+") or len(lines[1]) != len(lines[3]):
         raise FastxError(f"{where}: malformed record {lines[0]!r}")
     return lines[0][1:], lines[1], lines[3]
@@ -141,16 +144,31 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, int, int]]:
             yield path[low].as_py(), block[low].as_py(), low, high
 
 
+def _split(rows: pa.Array, first: bool) -> tuple[pa.Array, np.ndarray]:
+    """The lines of rows that were cut at line feed and "+", and which of them lost a "+"; a file's first row lost none."""
+    rows.validate(full=True)
+    parts = pc.split_pattern(rows, "\n")
+    bare = np.zeros(len(parts.values), bool)
+    bare[parts.offsets.to_numpy()[first:-1]] = True
+    return pc.ascii_rtrim(parts.values, "\r"), bare
+
+
+def _restored(lines: pa.Array, bare: np.ndarray) -> pa.Array:
+    return pc.if_else(pa.array(bare), pc.binary_join_element_wise("+", lines, ""), lines) if bare.any() else lines
+
+
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each block: how many lines it has, its first three and its last three."""
     found: dict[tuple[str, int], tuple[int, list[str], list[str]]] = {}
     for batch in batches:
         for path, block, low, high in _runs(batch):
             n, first, last = found.get((path, block), (0, [], []))
-            lines = batch.column(2)
-            first = first + lines[low : min(high, low + 3 - len(first))].to_pylist()
-            last = (last + lines[max(low, high - 3) : high].to_pylist())[-3:]
-            found[path, block] = (n + high - low, first, last)
+            rows, new = batch.column(2)[low:high], block == 0 and n == 0
+            # Three rows have three lines at least.
+            head, tail = _restored(*_split(rows[:3], new)), _restored(*_split(rows[-3:], new and len(rows) <= 3))
+            first = (first + head[:3].to_pylist())[:3]
+            last = (last + tail[-3:].to_pylist())[-3:]
+            found[path, block] = (n + len(rows) + pc.sum(pc.count_substring(rows, "\n")).as_py(), first, last)
     rows = [(path, block, *x) for (path, block), x in found.items()]
     columns = zip(*rows, strict=True) if rows else [[]] * 5
     types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()))
@@ -171,34 +189,68 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ("path", "id", "sequence", "quality"))
 
 
+def _whole(lines: pa.Array, bare: np.ndarray, path: str, mode: str) -> pa.RecordBatch:
+    """The records of lines, four each, checked as _record does it."""
+    at = np.arange(0, len(lines), 4)
+    head = lines.take(pa.array(at))
+    sequence, quality = (_restored(lines.take(pa.array(at + k)), bare[at + k]) for k in (1, 3))
+    good = pc.and_(pc.starts_with(head, "@"), pc.equal(pc.utf8_length(sequence), pc.utf8_length(quality)))
+    good = pc.and_(good, pa.array(bare[at + 2] & ~bare[at]))
+    head = pc.utf8_slice_codeunits(head, 1)
+    out = pa.RecordBatch.from_arrays([pa.repeat(path, len(at)), head, sequence, quality], ("path", "id", "sequence", "quality"))
+    bad = np.flatnonzero(~good.to_numpy(zero_copy_only=False))
+    for k in bad.tolist():
+        _checked(_restored(lines[4 * k : 4 * k + 4], bare[4 * k : 4 * k + 4]).to_pylist(), path, mode)
+    return out.filter(good) if len(bad) else out
+
+
+def _records(batches: Iterator[pa.RecordBatch], mode: str, rest: bool) -> Iterator[pa.RecordBatch]:
+    """The records of blocks, from rows of path, block, number of the block's first line and text.
+
+    With rest, what is left at the end of a block is a record too; else the edges have it, as they have the lines of a record begun before.
+    """
+    here, number, held = None, 0, (pa.array([], pa.string()), np.zeros(0, bool))
+
+    def last() -> Iterator[pa.RecordBatch]:
+        if rest and len(held[0]) and (r := _checked(_restored(*held).to_pylist(), here[0], mode)):
+            yield _batch([(here[0], *r)])
+
+    for batch in batches:
+        for path, block, low, high in _runs(batch):
+            new = here != (path, block)
+            if new:
+                yield from last()
+                here, number, held = (path, block), batch.column(2)[low].as_py(), (held[0][:0], held[1][:0])
+            lines, bare = _split(batch.column(3)[low:high], new and block == 0)
+            skip = min(-number % 4, len(lines)) if not len(held[0]) else 0
+            number += len(lines)
+            lines, bare = pa.concat_arrays([held[0], lines[skip:]]), np.concatenate([held[1], bare[skip:]])
+            whole = len(lines) - len(lines) % 4
+            held = (lines[whole:], bare[whole:])
+            if whole:
+                yield _whole(lines[:whole], bare[:whole], path, mode)
+    yield from last()
+
+
 def read_fastq_lines(spark: SparkSession, *paths: str, mode: str = "FAILFAST") -> DataFrame:
     """path, id, sequence, quality of FASTQ files with four lines a record and no blank lines but at the end.
 
-    mode PERMISSIVE leaves malformed records out and says so in the task's log, FAILFAST fails the query.
+    Gzipped files (.gz) are read once, plain ones twice. mode PERMISSIVE leaves malformed records out and says so in the task's log,
+    FAILFAST fails the query.
     """
     ship(spark)
+    schema = "path string, id string, sequence string, quality string"
     block = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
-    lines = spark.read.option("lineSep", "\n").text(list(paths)).select(*block, F.rtrim(F.col("value"), F.lit("\r")).alias("line"))
-    edges = lines.mapInArrow(_edges, "path string, block long, n long, head array<string>, tail array<string>")
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = edges.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    # A row for each block of a file: some bytes for every 128 MB read, so it goes to all tasks.
-    placed = lines.join(F.broadcast(starts.select("path", "block", "first")), ["path", "block"]).select("path", "block", "first", "line")
+    # Cut at line feed and "+", a row has the lines from one record's third to the next one's second, or fewer where qualities begin with "+".
+    text = spark.read.option("lineSep", "\n+").text(list(paths))
+    packed = F.col("_metadata.file_path").endswith(".gz")
+    kinds = {x.endswith(".gz") for x in text.inputFiles()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, number, held = None, 0, []
-        for batch in batches:
-            for path, block, low, high in _runs(batch):
-                if here != (path, block):
-                    here, number, held = (path, block), batch.column(2)[low].as_py(), []
-                skip = min(-number % 4, high - low) if not held else 0
-                part = held + batch.column(3)[low + skip : high].to_pylist()
-                number += high - low
-                whole = len(part) - len(part) % 4
-                rows = [(path, *r) for k in range(0, whole, 4) if (r := _checked(part[k : k + 4], path, mode))]
-                held = part[whole:]
-                for k in range(0, len(rows), BATCH):
-                    yield _batch(rows[k : k + BATCH])
+        return _records(batches, mode, False)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _records(batches, mode, True)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,6 +259,19 @@ def read_fastq_lines(spark: SparkSession, *paths: str, mode: str = "FAILFAST") -
             if rows:
                 yield _batch(rows)
 
+    # A gzipped file is one block, so its lines are counted as they come.
+    streamed = text.filter(packed).select(*block, F.lit(0).cast("long").alias("first"), "value").mapInArrow(stream, schema)
+    if kinds == {True}:
+        return streamed
+    rows = text.filter(~packed).select(*block, "value")
+    edges = rows.mapInArrow(_edges, "path string, block long, n long, head array<string>, tail array<string>")
+    # This filter and the next hold for every row. With them both uses of starts need the same rows and columns of the exchange, so they
+    # share it and the files are counted once.
+    edges = edges.filter(F.col("path").isNotNull() & ~F.col("path").endswith(".gz"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = edges.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).filter((F.size("head") > 0) & (F.size("tail") > 0))
+    # A row for each block of a file: some bytes for every 128 MB read, so it goes to all tasks.
+    placed = rows.join(F.broadcast(starts.select("path", "block", "first")), ["path", "block"]).select("path", "block", "first", "value")
     end = F.col("first") + F.col("n")
     # A block's lines that belong to a record which an earlier block began, or which a later one ends.
     head = F.transform("head", lambda x, i: F.struct((F.col("first") + i).alias("at"), x.alias("line")))
@@ -215,8 +280,8 @@ def read_fastq_lines(spark: SparkSession, *paths: str, mode: str = "FAILFAST") -
     tail = F.filter(tail, lambda x: (end % 4 != 0) & (F.floor(x["at"] / 4) == F.floor(end / 4)))
     shared = starts.select("path", F.explode(F.array_distinct(F.concat(head, tail))).alias("x"))
     shared = shared.groupBy("path", F.floor(F.col("x.at") / 4)).agg(F.collect_list("x").alias("lines")).select("path", "lines")
-    schema = "path string, id string, sequence string, quality string"
-    return placed.mapInArrow(run, schema).unionByName(shared.mapInArrow(join, schema))
+    plain = placed.mapInArrow(run, schema).unionByName(shared.mapInArrow(join, schema))
+    return plain.unionByName(streamed) if True in kinds else plain
 
 
 def read_reads(spark: SparkSession, *paths: str, mode: str = "FAILFAST") -> DataFrame:

@@ -17,6 +17,8 @@ from seqloom.shared import write_text
 FORMATS = ("parquet", "csv", "tsv", "fasta")
 #: Suffixes of files of filtered reads.
 READ_SUFFIXES = {"auto": "fq", "fasta": "fa", "fastq": "fq", "fastq.gz": "fq.gz"}
+#: Records of a gzipped file at most. One task reads such a file, so larger outputs are more files.
+GZIP_RECORDS = 1_000_000
 
 
 def write_parquet(table: DataFrame, path: str, metadata: dict[str, str] | None = None) -> None:
@@ -73,7 +75,7 @@ def write_reads(reads: DataFrame, path: str, kind: str = "auto") -> None:
     if kind == "fasta":
         reads = reads.withColumn("quality", F.lit(None).cast("string"))
     sink = read_records(reads).write.mode("overwrite")
-    (sink.option("compression", "gzip") if kind == "fastq.gz" else sink).text(path)
+    (sink.option("compression", "gzip").option("maxRecordsPerFile", GZIP_RECORDS) if kind == "fastq.gz" else sink).text(path)
 
 
 def write_random_regions(matched: DataFrame, path: str) -> None:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from seqloom import cli
-from seqloom.sources.fastx import FastxError, parse, read_fasta_lines, read_fastx, read_reads, sample_name
+from seqloom.sources import sinks
+from seqloom.sources.fastx import FastxError, parse, read_fasta_lines, read_fastq_lines, read_fastx, read_reads, sample_name
 from seqloom.streaming.reads import SCHEMA, matched_stream, read_stream, running_counts
 
 FASTQ = "@r1 x\nAAAAAAGCATGCATGCTTTTTT\n+\n@" + "I" * 21 + "\n@r2\nAAAAAAGCTTTTTT\n+\n" + "I" * 14 + "\n"
@@ -117,6 +118,37 @@ def test_splitting_readers(spark, tmp_path):
             spark.conf.set(k, v)
 
 
+def test_fastq_passes(spark, tmp_path, monkeypatch):
+    records = [(f"r{i}", "ACGT"[: i % 5], "+@I!"[: i % 5]) for i in range(500)]
+    text = "".join(f"@{a}\n{b}\n+{a if int(a[1:]) % 3 else ''}\n{q}\n" for a, b, q in records)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted((r.id, r.sequence, r.quality) for r in df.collect())
+    for name in ("a.fq", "b.fq"):
+        (tmp_path / name).write_text(text)
+        (tmp_path / f"{name}.gz").write_bytes(gzip.compress(text[:999].encode()) + gzip.compress(text[999:].encode()))
+    packed = read_fastq_lines(spark, str(tmp_path / "*.gz"))
+    assert rows(packed) == sorted(records * 2) and plan(packed).count("FileScan text") == 1
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+        plain = read_fastq_lines(spark, str(tmp_path / "?.fq"))
+        assert rows(plain) == sorted(records * 2) and "ReusedExchange" in plan(plain).split("Initial Plan")[0]
+        assert rows(read_fastq_lines(spark, str(tmp_path))) == sorted(records * 4)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for end, good in (("@x\nA\n+\n+", 1), ("@x\nA\n+\n@", 1), ("@x\nA\n+", 0), ("@x\nAC\n+\n+", 0), ("@x\nAC\n+\n", 0), ("x", 0), ("\n \n", None), ("", None)):
+        for name in ("end.fq", "end.fq.gz"):
+            (tmp_path / name).write_bytes(gzip.compress((text + end).encode()) if name.endswith("gz") else (text + end).encode())
+            if good == 0:
+                with pytest.raises(Exception, match="malformed"):
+                    read_fastq_lines(spark, str(tmp_path / name)).collect()
+            got = rows(read_fastq_lines(spark, str(tmp_path / name), mode="PERMISSIVE"))
+            assert got == sorted(records + ([("x", "A", end[-1])] if good else []))
+    monkeypatch.setattr(sinks, "GZIP_RECORDS", 100)
+    sinks.write_reads(packed, str(tmp_path / "out"), "fastq.gz")
+    assert len(list((tmp_path / "out").glob("*.gz"))) == 10 and rows(read_fastq_lines(spark, str(tmp_path / "out"))) == sorted(records * 2)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     folder = str(tmp_path / "in")
     spark.createDataFrame([("a", "AAAAAAGCATGCATGCTTTTTT", None), ("b", "acgt", None), ("c", "acgt", None)], SCHEMA).write.parquet(folder)
